@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .mixing import op2_entropy_mixing
+from .packing import op3_best_fit_packing
 from .sharding import op6_jump_sharding
 from .simhash import op4_simhash_near_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_entropy_mixing,
+        op3_best_fit_packing,
         op4_simhash_near_dedup,
         op6_jump_sharding,
     )
