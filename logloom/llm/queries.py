@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .minhash import op9_minhash_fingerprints
 from .mixing import op2_entropy_mixing
 from .packing import op3_best_fit_packing
 from .sharding import op6_jump_sharding
@@ -14,6 +15,7 @@ QUERIES = {
         op3_best_fit_packing,
         op4_simhash_near_dedup,
         op6_jump_sharding,
+        op9_minhash_fingerprints,
     )
 }
 
