@@ -72,3 +72,18 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], name: str) ->
     sizes = sizes.withColumn(before, F.coalesce(F.sum(count).over(earlier), F.lit(0)))
     ranked = dealt.join(sizes.drop(count), [part, *group]).withColumn(name, F.col(before) + F.col(at) - F.col(first))
     return ranked.select(*[f"`{c}`" for c in df.columns], name)
+
+
+def sample_keys(rows: DataFrame, label: str, key: str, each: int) -> DataFrame:
+    """At most `each` distinct (label, key) of every label, as near to `each` as its rows allow: a sample by the key's hash.
+
+    A first pass counts each label's rows; a second lets through by hash about three times as many keys as are wanted and cuts those to `each`. So
+    no more than that is ever ordered, whatever share of the rows a label has. Null labels and keys are left out.
+    """
+    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(label, key)
+    counts = known.groupBy(label).agg(F.approx_count_distinct(key, 0.02).alias("__count"))
+    order = F.xxhash64(F.lit("sample"), key)
+    through = F.col("__order").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40)) < F.lit(3.0 * each + 50) / F.col("__count")
+    near = known.withColumn("__order", order).join(F.broadcast(counts), label).where(through).select(label, key, "__order").distinct()
+    by_hash = Window.partitionBy(label).orderBy("__order", key)
+    return near.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select(label, key)

@@ -5,8 +5,8 @@ over the root of the product of how many each has. A Nystroem approximation repr
 one-versus-rest kernel ridge regression in that space gives a weight vector per language. Scoring is one matrix product over a batch: n-gram
 presence (rows of texts) by weights (columns of languages), as the kernel with the landmarks is linear in presence.
 
-Sizes: the landmarks and the fitting rows are bounded samples, taken by hash and evenly from the languages; both bounds are parameters. The driver solves
-one landmarks x landmarks system. Its Gram matrix is summed over the sample by Spark.
+The landmarks and the fitting rows are bounded samples, taken by hash and evenly from the languages; both bounds are parameters. Spark sums the Gram
+matrix over the sample, and the driver solves one system of landmarks x landmarks.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc32, read, stored
+from .common import id_crc32, partitions, read, sample_keys, stored
 
-LONGEST, BUCKET_BITS = 3, 18
-LANDMARKS, FIT_ROWS, FIT_CHARS, RIDGE = 48, 600, 20_000, 1e-3
+LONGEST, BUCKET_BITS = 3, 17
+LANDMARKS, FIT_ROWS, RIDGE = 192, 2400, 1e-3
 LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers that mix a gram of each length into a bucket (any odd numbers would do).
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint64)
@@ -44,9 +44,10 @@ def gram_buckets(text: str, longest: int = LONGEST, bits: int = BUCKET_BITS) ->
 
 @dataclass
 class KernelModel:
-    """labels; for every bucket a row of weights (0 where no landmark has the n-gram), one column for each label, and bias."""
+    """labels; each bucket's row of weights (row 0, of zeros, where no landmark has the n-gram); weights, a column for each label."""
 
     labels: list[str]
+    index: np.ndarray
     weights: np.ndarray
     longest: int
     bits: int
@@ -59,7 +60,7 @@ class KernelModel:
             found = [gram_buckets(texts[i], self.longest, self.bits) for i in at]
             sizes = np.array([len(b) for b in found])
             # a batch of presence rows times the weights: the rows are sparse, so the product adds up the weights of the buckets present
-            sums = np.add.reduceat(self.weights[np.concatenate(found)], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+            sums = np.add.reduceat(self.weights[self.index[np.concatenate(found)]], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
             values = sums / np.sqrt(sizes)[:, None]
             best = values.argmax(axis=1)
             sure = np.clip((values[np.arange(len(at)), best] + 1) / 2, 0.0, 1.0)
@@ -69,49 +70,48 @@ class KernelModel:
         return labels, scores
 
 
-def sample(rows: DataFrame, each: int, salt: str) -> DataFrame:
-    """At most `each` rows of every label: the least by hash. Tasks cut their own rows first, so a hot label is cut before it is shuffled."""
-    keyed = rows.withColumn("__order", F.xxhash64(F.lit(salt), "text"))
-    near = Window.partitionBy("label", "__part").orderBy("__order", "text")
-    far = Window.partitionBy("label").orderBy("__order", "text")
-    cut = keyed.withColumn("__part", F.pmod("__order", F.lit(64))).withColumn("__n", F.row_number().over(near)).where(F.col("__n") <= each)
-    return cut.withColumn("__n", F.row_number().over(far)).where(F.col("__n") <= each).drop("__order", "__part", "__n")
-
-
 def fit(labelled: DataFrame, landmarks: int = LANDMARKS, rows: int = FIT_ROWS, longest: int = LONGEST, bits: int = BUCKET_BITS, ridge: float = RIDGE) -> KernelModel:
-    """Fit on labelled (text, label): up to `rows` texts of each label, of which up to `landmarks` are landmarks.
+    """Fit on labelled (text, label): up to `rows` texts, of which up to `landmarks` are landmarks, both shared evenly by the labels.
 
     Rows with null text or label or without a letter teach nothing. Sampled texts count once however often they are repeated. No rows give a
-    model that answers und.
+    model that answers und. Labels are languages: their number is taken to be small.
     """
-    usable = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("label").isNotNull()).select("text", "label").distinct()
-    chosen = stored(sample(usable, rows, "fit"), "langid_sample")
-    marks = sample(chosen, landmarks, "landmarks").orderBy("label", "text").collect()  # landmarks x languages texts
-    labels = sorted({r["label"] for r in chosen.select("label").distinct().collect()})
-    if not marks:
-        return KernelModel([], np.zeros((1 << bits, 0)), longest, bits)
-    present = np.zeros((1 << bits, len(marks)), np.float32)
-    for k, r in enumerate(marks):
-        grams = gram_buckets(r["text"], longest, bits)
-        present[grams, k] = 1 / np.sqrt(len(grams))
+    spark = labelled.sparkSession
+    usable = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("label").isNotNull()).select("text", "label", F.xxhash64("text").alias("key"))
+    labels = sorted(r["label"] for r in usable.select("label").distinct().collect())
+    index = np.zeros(1 << bits, np.int32)
+    if not labels:
+        return KernelModel([], index, np.zeros((1, 0)), longest, bits)
+    keys = stored(sample_keys(usable, "label", "key", max(2, rows // len(labels))), "langid_keys")  # at most `rows` rows
+    chosen = usable.join(F.broadcast(keys), ["label", "key"]).groupBy("label", "key").agg(F.min("text").alias("text"))
+    chosen = stored(chosen.repartition(min(16, partitions(spark)), "key"), "langid_sample")
+    each = Window.partitionBy("label").orderBy("key")
+    few = max(1, landmarks // len(labels))
+    marks = [r["text"] for r in chosen.withColumn("n", F.row_number().over(each)).where(F.col("n") <= few).orderBy("label", "key").collect()]  # at most `landmarks`
+    found = [gram_buckets(t, longest, bits) for t in marks]
+    known = np.unique(np.concatenate(found))
+    index[known] = np.arange(1, len(known) + 1)  # row 0 is for n-grams that no landmark has
+    present = np.zeros((len(known) + 1, len(marks)), np.float32)
+    for k, grams in enumerate(found):
+        present[index[grams], k] = 1 / np.sqrt(len(grams))
 
     def against(texts: list[str]) -> np.ndarray:
         out = []
         for text in texts:
             grams = gram_buckets(text, longest, bits)
-            out.append(present[grams].sum(axis=0, dtype=np.float64) / np.sqrt(len(grams)))
+            out.append(present[index[grams]].sum(axis=0, dtype=np.float64) / np.sqrt(len(grams)))
         return np.array(out)
 
-    shared = chosen.sparkSession.sparkContext.broadcast(present)  # buckets x landmarks: a fixed size
+    shared = spark.sparkContext.broadcast((index, present))  # at most buckets x landmarks: a bounded size
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """This task's part of kernel' kernel and kernel' targets, one row for each landmark."""
-        gram, goal = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(labels)))
+        (index, present), gram, goal = shared.value, np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(labels)))
         for batch in batches:
             rows_ = []
             for text in batch["text"]:
                 buckets = gram_buckets(text, longest, bits)
-                rows_.append(shared.value[buckets].sum(axis=0, dtype=np.float64) / np.sqrt(len(buckets)))
+                rows_.append(present[index[buckets]].sum(axis=0, dtype=np.float64) / np.sqrt(len(buckets)))
             if rows_:
                 kernel, target = np.array(rows_), np.where(batch["label"].to_numpy()[:, None] == np.array(labels)[None, :], 1.0, -1.0)
                 gram += kernel.T @ kernel
@@ -123,13 +123,13 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, rows: int = FIT_ROWS, l
     for r in parts:  # landmarks x (landmarks + languages) numbers
         total[r["k"], r["j"]] = r["v"]
     gram, goal = total[:, : len(marks)], total[:, len(marks) :]
-    within = against([r["text"] for r in marks])
+    within = against(marks)
     count = chosen.count()
     # Nystroem: features are kernel @ within^(-1/2); ridge regression in them, folded back into weights over landmarks
     values, vectors = np.linalg.eigh((within + within.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     solved = np.linalg.solve(root @ gram @ root + ridge * count * np.eye(len(marks)), root @ goal)
-    return KernelModel(labels, present @ (root @ solved), longest, bits)
+    return KernelModel(labels, index, present @ (root @ solved), longest, bits)
 
 
 def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from .langid import op7_string_kernel_langid
 from .minhash import op9_minhash_fingerprints
 from .mixing import op2_entropy_mixing
 from .packing import op3_best_fit_packing
+from .quality import op1_bradley_terry_quality
 from .sharding import op6_jump_sharding
 from .simhash import op4_simhash_near_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_bradley_terry_quality,
         op2_entropy_mixing,
         op3_best_fit_packing,
         op4_simhash_near_dedup,
         op6_jump_sharding,
+        op7_string_kernel_langid,
         op9_minhash_fingerprints,
     )
 }
