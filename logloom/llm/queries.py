@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op7_string_kernel_langid
+from .media import op10_chunked_media
 from .minhash import op9_minhash_fingerprints
 from .mixing import op2_entropy_mixing
 from .packing import op3_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
         op6_jump_sharding,
         op7_string_kernel_langid,
         op9_minhash_fingerprints,
+        op10_chunked_media,
     )
 }
 
