@@ -6,6 +6,7 @@ import hashlib
 import hmac as std_hmac
 import socket
 
+import numpy as np
 import pandas as pd
 import xxhash as std_xxhash
 from pyspark.sql import Column
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 16
+#: The first 12 bytes of an IPv4 address in IPv6 form.
+MAPPED = "00000000000000000000FFFF"
 MASK = (1 << 64) - 1
 #: SeaHash's fixed seeds and multiplier.
 SEA_SEEDS, SEA_FACTOR = (0x16F11FE89B0D677C, 0xB480A793D8E6C86C, 0x6FE2E5AAF078EBC9, 0x14F994A4C5259381), 0x6EED0E9DA4D94A4F
@@ -139,6 +142,8 @@ def _stream(c: Column, mode: str, key: Column, iv: Column, forward: bool) -> Col
 
 
 def _cipher(c: Column, algorithm: str, key: Column, iv: Column, forward: bool) -> Column:
+    if algorithm.upper() == "CHACHA20-POLY1305":
+        return _aead(forward)(c.cast("binary"), key.cast("binary"), iv.cast("binary"))
     name, bits, mode = algorithm.upper().split("-", 2)
     if name != "AES" or int(bits) not in (128, 192, 256) or mode not in ("CFB", "OFB", "CTR", "CTR-BE", "CBC-PKCS7"):
         raise ValueError(f"unknown algorithm {algorithm}")
@@ -152,8 +157,53 @@ def _cipher(c: Column, algorithm: str, key: Column, iv: Column, forward: bool) -
     return F.when(bad, F.raise_error(F.lit(f"{algorithm}: wrong key or iv length"))).otherwise(done)
 
 
+def chacha_blocks(key: bytes, nonce: bytes, count: int) -> bytes:
+    """The ChaCha20 key stream from block 0 on (RFC 8439), all blocks at once."""
+    start = np.empty((16, count), np.uint32)
+    start[:4] = np.frombuffer(b"expand 32-byte k", "<u4")[:, None]
+    start[4:12], start[12], start[13:] = np.frombuffer(key, "<u4")[:, None], np.arange(count), np.frombuffer(nonce, "<u4")[:, None]
+    x = start.copy()
+    turn = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    for _ in range(10):
+        for a, b, c, d in ((0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15), (0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)):
+            for p, q, r, n in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
+                x[p] += x[q]
+                x[r] = turn(x[r] ^ x[p], n)
+    return (x + start).T.astype("<u4").tobytes()
+
+
+def poly1305(key: bytes, message: bytes) -> bytes:
+    r, s, total = int.from_bytes(key[:16], "little") & 0x0FFFFFFC0FFFFFFC0FFFFFFC0FFFFFFF, int.from_bytes(key[16:32], "little"), 0
+    for i in range(0, len(message), 16):
+        total = (total + int.from_bytes(message[i : i + 16] + b"\x01", "little")) * r % ((1 << 130) - 5)
+    return ((total + s) & ((1 << 128) - 1)).to_bytes(16, "little")
+
+
+def _aead(forward: bool):
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series, keys: pd.Series, nonces: pd.Series) -> pd.Series:
+        def one(v, key, nonce):
+            if v is None or key is None or nonce is None:
+                return None
+            v, key, nonce = bytes(v), bytes(key), bytes(nonce)
+            if len(key) != 32 or len(nonce) != 12:
+                raise ValueError("CHACHA20-POLY1305: wrong key or iv length")
+            body, tag = (v, b"") if forward else (v[:-16], v[-16:])
+            stream = chacha_blocks(key, nonce, 1 + -(-len(body) // 64))
+            mixed = (np.frombuffer(body, np.uint8) ^ np.frombuffer(stream, np.uint8)[64 : 64 + len(body)]).tobytes()
+            sealed = mixed if forward else body
+            own = poly1305(stream[:32], sealed + bytes(-len(sealed) % 16) + (0).to_bytes(8, "little") + len(sealed).to_bytes(8, "little"))
+            if not forward and not std_hmac.compare_digest(own, tag):
+                raise ValueError("CHACHA20-POLY1305: the tag doesn't match")
+            return mixed + own if forward else mixed
+
+        return pd.Series([one(*r) for r in zip(values, keys, nonces)], dtype=object)
+
+    return run
+
+
 def encrypt(c: Column, algorithm: str, key: Column, iv: Column) -> Column:
-    """AES-128, -192 or -256 with CFB, OFB, CTR, CTR-BE or CBC-PKCS7; binary out."""
+    """AES-128, -192 or -256 with CFB, OFB, CTR, CTR-BE or CBC-PKCS7, or CHACHA20-POLY1305 (its tag is appended); binary out."""
     return _cipher(c, algorithm, key, iv, True)
 
 
@@ -188,18 +238,25 @@ def community_id(source_ip: Column, destination_ip: Column, protocol: Column, so
     return flow(source_ip, destination_ip, protocol, source_port, destination_port)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _address(c: Column) -> Column:
     from .ip import ip_pton
 
-    raw = ip_pton(c)
-    return F.when(F.octet_length(raw) == 4, F.concat(F.unhex(F.lit("00000000000000000000FFFF")), raw)).otherwise(raw)
+    return _let(ip_pton(c), lambda raw: F.when(F.octet_length(raw) == 4, F.concat(F.unhex(F.lit(MAPPED)), raw)).otherwise(raw))
+
+
+def _is_mapped(raw: Column) -> Column:
+    return F.hex(F.substring(raw, 1, 12)) == MAPPED
 
 
 def _shown(c: Column) -> Column:
     from .ip import ip_ntop
 
-    mapped = F.hex(F.substring(c, 1, 12)) == "00000000000000000000FFFF"
-    return ip_ntop(F.when(mapped, F.substring(c, 13, 4)).otherwise(c))
+    return ip_ntop(_let(c, lambda raw: F.when(_is_mapped(raw), F.substring(raw, 13, 4)).otherwise(raw)))
 
 
 def encrypt_ip(c: Column, key: Column) -> Column:

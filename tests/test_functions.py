@@ -117,3 +117,13 @@ def test_system_values(spark):
     assert rows.u7.str.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}").all() and rows.y.map(len).eq(12).all()
     seen = spark.sparkContext.accumulator(0)
     assert spark.range(5).select(sy.log(F.col("id").cast("string"), seen)).count() == 5
+
+
+def test_published_cipher_vectors(spark):
+    key, nonce = bytes(range(32)), bytes([0, 0, 0, 9, 0, 0, 0, 0x4A, 0, 0, 0, 0])
+    assert cr.chacha_blocks(key, nonce, 2)[64:72].hex() == "10f1e7e4d13b5915"  # RFC 8439, 2.3.2
+    mac_key = bytes.fromhex("85d6be7857556d337f4452fe42d506a80103808afb0db2fd4abff6af4149f51b")
+    assert cr.poly1305(mac_key, b"Cryptographic Forum Research Group").hex() == "a8061dc1305136c6c22b8baf0c0127a9"  # RFC 8439, 2.5.2
+    args = ("CHACHA20-POLY1305", F.lit("k" * 32), F.lit("n" * 12))
+    row = spark.range(1).select(cr.decrypt(cr.encrypt(F.lit("secret text"), *args), *args).cast("string").alias("text"), F.octet_length(cr.encrypt(F.lit("abc"), *args)).alias("n")).first()
+    assert (row.text, row.n) == ("secret text", 19)
