@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc32, partitions, read, sample_keys, stored
+from .common import bounded_batches, id_crc32, partitions, read, sample_keys, stored
 
 LONGEST, BUCKET_BITS = 3, 17
 LANDMARKS, FIT_ROWS, RIDGE = 192, 2400, 1e-3
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
             scores.append(b)
         return pd.DataFrame({"lang_pred": labels, "score": np.concatenate(scores) if scores else np.empty(0)})
 
-    return docs.withColumn("__found", decide(F.col(f"`{text}`"))).withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
+    return bounded_batches(docs).withColumn("__found", decide(F.col(f"`{text}`"))).withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
 
 
 def held_out(doc_id: Column) -> Column:

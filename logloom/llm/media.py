@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_folder, stored
+from .common import bounded_batches, read, shared_folder, stored
 
 LEAST, USUAL_BITS, MOST, DIGEST = 512, 11, 16_384, 16
 #: A table of marks with at most so many rows is broadcast to the documents; a larger one is joined by a shuffle.
@@ -92,7 +92,7 @@ def _kind(docs: DataFrame) -> str:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
+    return bounded_batches(docs).select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
 
 
 def ownership(lists: DataFrame) -> DataFrame:

@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_within, read, stored
+from .common import bounded_batches, rank_within, read, stored
 
 CAPACITY, END_ID = 4096, 1
-#: The word cache of a Python worker is emptied beyond so many words or bytes of ids.
-CACHE_WORDS, CACHE_BYTES = 800_000, 64 << 20
+#: The word cache of a Python worker is emptied beyond so many words or bytes; texts whose new words are encoded together.
+CACHE_WORDS, CACHE_BYTES, TOGETHER = 500_000, 48 << 20, 64
 TAILS = frozenset(".,;:!?")
 
 
@@ -42,7 +42,6 @@ class WordIds:
 
     def empty(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
         self.held = 0
 
     def encode_each(self, words: list[str]) -> list[bytes]:
@@ -63,31 +62,33 @@ class WordIds:
             if core.isalpha():
                 core = core.lower() if core.isascii() else core
                 split.append((word, core, tail))
-                if core not in self.cores:
+                if core not in self.words:
                     fresh.add(core)
             else:
                 rest.append(word)
         rest += [t for t in TAILS if t not in self.words and t not in words]
         if fresh:
             cores = list(fresh)
-            self.cores.update(zip(cores, self.encode_cores(cores), strict=True))
+            self.words.update(zip(cores, self.encode_cores(cores), strict=True))
         if rest:
             self.words.update(zip(rest, self.encode_each(rest), strict=True))
         for word, core, tail in split:
-            self.words[word] = self.cores[core] + self.words[tail]
+            self.words[word] = self.words[core] + self.words[tail]
         self.held += sum(len(self.words[w]) + len(w) for w in words)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            missing = set(words).difference(self.words)
+        for i in range(0, len(texts), TOGETHER):
+            split = [(text or "").replace("\n", " ").split(" ") for text in texts[i : i + TOGETHER]]
+            if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
+                self.empty()
+            missing: set[str] = set()
+            for words in split:
+                missing.update(set(words).difference(self.words))
             if missing:
-                if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
-                    self.empty()
-                    missing = set(words) - {""}
                 self.learn(missing)
             known = self.words
-            yield b"".join([known[w] for w in words])
+            for words in split:
+                yield b"".join([known[w] for w in words])
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -122,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(cut, shape)
+    return bounded_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(cut, shape)
 
 
 class OpenBins:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, stored
+from .common import bounded_batches, partitions, read, stored
 from .components import connected_components
 
 BITS, SEGMENTS, DISTANCE = 64, 2, 3
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int
     def simhash(values: pd.Series) -> pd.Series:
         return pd.Series(fingerprint_bytes([x if isinstance(x, str) else None for x in values], width, seed).view(np.int64))
 
-    return docs.withColumn("fingerprint_bits", simhash(F.col(f"`{text}`")))
+    return bounded_batches(docs).withColumn("fingerprint_bits", simhash(F.col(f"`{text}`")))
 
 
 def variants(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
