@@ -189,7 +189,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     found = near_duplicates(docs, doc_id, text)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    # the ids that go are as many as the corpus makes them: joined by a shuffle at any size, never broadcast
+    return docs.join(gone.hint("merge"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
