@@ -48,7 +48,7 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode_cores(self, cores: list[str]) -> list[bytes]:
-        """Words of letters alone: one call for all, cut where a token closes a word."""
+        """Words of ASCII letters alone: one call for all, cut where a token closes a word."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.closes[ids]) + 1
         if len(stops) != len(cores):
@@ -59,8 +59,9 @@ class WordIds:
         split, rest, fresh = [], [], set()
         for word in words:
             core, tail = (word[:-1], word[-1]) if word[-1] in TAILS else (word, "")
-            if core.isalpha():
-                core = core.lower() if core.isascii() else core
+            # other letters may end in a combining mark once normalised, which joins with the tail
+            if core.isascii() and core.isalpha():
+                core = core.lower()
                 split.append((word, core, tail))
                 if core not in self.words:
                     fresh.add(core)

@@ -64,6 +64,16 @@ def test_word_ids_equal_the_tokenizer():
         tokenizer.empty()
 
 
+def test_letters_that_normalise_to_marks_before_punctuation():
+    encoder = packing.word_ids(packing.tokenizer_path())
+    for core in ("\u0130", "KED\u0130", "\u0958", "a\u0958", "\u0928\u095b", "\ufb1d", "Stra\u00dfe", "\u00c9"):
+        for tail in ("", *packing.TAILS):
+            encoder.empty()
+            got = np.frombuffer(next(encoder.encode([f"x {core}{tail} y."])), "<u4").tolist()
+            assert got == encoder.tokenizer.encode(f"x {core}{tail} y.", add_special_tokens=False).ids
+    encoder.empty()
+
+
 def test_pack_documents(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(["tree", "river.", "Stone,", "x9"], k=rng.choice([0, 3, 700, 5000, 9000]))), "en", "s", 0) for i in range(60)]
