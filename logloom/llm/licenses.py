@@ -65,6 +65,51 @@ def known_licenses() -> list[tuple[str, str]]:
     return out + [(k, f"SPDX-License-Identifier: {k}") for k in [*full, *NAMES]]
 
 
+#: Pieces of full texts, each of which may be a paragraph of its own.
+PIECES = {
+    "MIT": [MIT_GRANT, MIT_NOTICE, MIT_WARRANTY],
+    "ISC": [ISC_GRANT + ISC_NOTICE, ISC_WARRANTY],
+    "0BSD": [ISC_GRANT + ".", ISC_WARRANTY],
+    "BSD-2-Clause": [*BSD_HEAD.strip().split("\n"), BSD_WARRANTY],
+    "BSD-3-Clause": [*BSD_HEAD.strip().split("\n"), BSD_THIRD, BSD_WARRANTY],
+    "Zlib": ZLIB.split("\n"),
+}
+GPL_NOTE = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+GPL_ONLY = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, version {2} of the License."
+GPL_WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+GPL_COPY = "You should have received a copy of the GNU {1} along with this {0}. If not, see <{3}://www.gnu.org/licenses/>."
+GPL_KINDS = [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")]
+
+
+def known_runs() -> list[tuple[str, list[str]]]:
+    """(license_id, paragraphs): full texts in every cut into two paragraphs or more, and the standard headers of other licences, by the paragraph that names them."""
+    out = []
+    for name, pieces in PIECES.items():
+        for cuts in range(1, 1 << (len(pieces) - 1)):
+            run = [pieces[0]]
+            for i, piece in enumerate(pieces[1:]):
+                run = [*run, piece] if cuts >> i & 1 else [*run[:-1], f"{run[-1]}\n{piece}"]
+            out.append((name, run))
+    apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""
+    terms = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+    headers = [("Apache-2.0", apache)]
+    for web in ("http", "https"):
+        where = f"{apache} {web}://www.apache.org/licenses/LICENSE-2.0"
+        headers += [("Apache-2.0", where), ("Apache-2.0", f"{where} {terms}")]
+        mpl = f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {web}://mozilla.org/MPL/2.0/."
+        cc0 = "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."
+        copy = f"You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <{web}://creativecommons.org/publicdomain/zero/1.0/>."
+        headers += [("MPL-2.0", mpl), ("CC0-1.0", copy), ("CC0-1.0", f"{cc0} {copy}")]
+    for name, title, version in GPL_KINDS:
+        for what in ("program", "library", "software"):
+            for note, suffix in ((GPL_NOTE, "or-later"), (GPL_ONLY, "only")):
+                words = (what, title, version)
+                first, second = note.format(*words), GPL_WARRANTY.format(*words)
+                headers += [(f"{name}-{suffix}", w) for w in (first, f"{first} {second}")]
+                headers += [(f"{name}-{suffix}", f"{first} {second} {GPL_COPY.format(*words, web)}") for web in ("http", "https")]
+    return out + [(name, [wording]) for name, wording in headers]
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What goes, in this order, from a text in lower case (Java's and RE2's common notation).
 RULES = (
@@ -108,11 +153,32 @@ def digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) ->
     return made.agg(F.min_by("license_id", "n").alias("license_id"))
 
 
+#: Every run has one of these words in its text, and every paragraph of one has one of RUN_ANCHORS.
+RUN_WORDS = ("permission", "redistribution", "apache", "gnu", "mozilla", "cc0")
+RUN_ANCHORS = (*ANCHORS, "distribution")
+
+
+def runs(spark: SparkSession) -> DataFrame:
+    """run (the digests of its paragraphs, joined), license_id of the known runs: a fixed table."""
+    rows = [(n, name, i, part) for n, (name, run) in enumerate(known_runs()) for i, part in enumerate(run)]
+    made = spark.createDataFrame(rows, "n int, license_id string, i int, wording string").withColumn("digest", F.sha2(canonical(F.col("wording")), 256))
+    made = made.groupBy("n", "license_id").agg(F.array_sort(F.collect_list(F.struct("i", "digest"))).alias("parts"))
+    return made.select("license_id", F.concat_ws("", F.transform("parts", lambda p: F.concat(F.lit("<"), p["digest"], F.lit(">")))).alias("run")).groupBy("run").agg(F.min("license_id").alias("license_id"))
+
+
+def paragraph_digests(text: Column) -> Column:
+    """The digests of all paragraphs of a text in order, joined as those of runs; a question mark stands for one that no run can have."""
+    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.rlike(p, F.lit(r"\S")))
+    each = F.transform(paragraphs, lambda p: F.when(may_be_known(p, RUN_ANCHORS), F.concat(F.lit("<"), F.sha2(canonical(p), 256), F.lit(">"))).otherwise(F.lit("?")))
+    return F.when(may_be_known(text, RUN_WORDS), F.concat_ws("", each)).otherwise(F.lit(""))
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license_id (the licence that the whole text is, or null), n_notices, license_ids of each row of docs (doc_id, text).
 
     n_notices counts the text's lines and paragraphs that are a known wording (a one-line paragraph counts as a line); license_ids has the distinct licences of
-    the whole text and of those, sorted, comma-joined, empty if there are none. Null texts count as empty. Repeated rows stay. Only parts whose canonical length some known
+    the whole text and of those, sorted, comma-joined, empty if there are none. A run of paragraphs that is a known licence (known_runs) counts as one more, unless the
+    whole text is a known wording or wordings of one's own are given. Null texts count as empty. Repeated rows stay. Only parts whose canonical length some known
     wording has are hashed. The known digests are a fixed table of a few hundred rows, and are broadcast.
     """
     wordings = known or known_licenses()
@@ -123,13 +189,19 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     likely = F.when(may_be_known(F.col("text"), anchors), F.col("text")).otherwise(F.lit(""))
     parts = F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
     hashed = F.transform(F.filter(F.transform(F.filter(parts, lambda p: may_be_known(p, anchors)), canonical), lambda c: F.array_contains(sizes, F.length(c))), lambda c: F.sha2(c, 256))
-    listed = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", likely.alias("text")).select("row", "doc_id", F.sha2(canonical(F.col("text")), 256).alias("whole"), hashed.alias("parts")), "license_parts")
+    sequence = F.lit("") if known else paragraph_digests(F.col("text"))
+    listed = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", likely.alias("text")).select("row", "doc_id", F.sha2(canonical(F.col("text")), 256).alias("whole"), hashed.alias("parts"), sequence.alias("sequence")), "license_parts")
     small = F.broadcast(found.select("digest", "license_id"))
     units = listed.where("size(parts) > 0").select("row", F.explode("parts").alias("digest")).join(small, "digest").groupBy("row").agg(F.count("*").alias("n"), F.collect_set("license_id").alias("ids"))
-    whole = listed.join(small, listed["whole"] == small["digest"], "left").join(units, "row", "left")
+    in_order = listed.where("contains(sequence, '<')").join(F.broadcast(stored(runs(docs.sparkSession), "license_runs").withColumnRenamed("license_id", "id")), F.expr("contains(sequence, run)"))
+    times = F.expr("(length(sequence) - length(replace(sequence, run, ''))) div length(run)")
+    in_order = in_order.groupBy("row").agg(F.sum(times).alias("run_n"), F.collect_set("id").alias("run_ids"))
+    whole = listed.join(small, listed["whole"] == small["digest"], "left").join(units, "row", "left").join(in_order, "row", "left")
     none = F.array().cast("array<string>")
     ids = F.array_union(F.coalesce("ids", none), F.when(F.col("license_id").isNull(), none).otherwise(F.array("license_id")))
-    return whole.select("doc_id", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.array_join(F.array_sort(ids), ",").alias("license_ids"))
+    inside = F.col("license_id").isNull()
+    ids = F.array_union(ids, F.when(inside, F.coalesce("run_ids", none)).otherwise(none))
+    return whole.select("doc_id", "license_id", (F.coalesce("n", F.lit(0)) + F.when(inside, F.coalesce("run_n", F.lit(0))).otherwise(0)).cast("long").alias("n_notices"), F.array_join(F.array_sort(ids), ",").alias("license_ids"))
 
 
 def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
