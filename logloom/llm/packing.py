@@ -9,87 +9,126 @@ one that placing every document in turn would give.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, rank_within, read, stored
 
 CAPACITY, END_ID = 4096, 1
-#: The word cache of a Python worker is emptied beyond so many words or bytes; texts whose new words are encoded together.
-CACHE_WORDS, CACHE_BYTES, TOGETHER = 500_000, 48 << 20, 64
-TAILS = frozenset(".,;:!?")
+#: Bytes of known words that a Python worker keeps, counted with what Python's objects for a word take; text bytes encoded in one go.
+CACHE_BYTES, ENTRY_BYTES, SLICE_BYTES = 48 << 20, 240, 4 << 20
+TAILS = ".,;:!?"
+#: A word of Latin letters, and at most one closing sign. Their lower case is one letter each and none joins with a sign in NFC.
+LETTERED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: Texts and words on which a tokenizer's properties are probed.
+PROBES = ["Plain words, here.  Twice\n\nhere. ", " don't WE'LL 'sx it's 3.14 x9", "\u00c9t\u00e9 \u00e9 stra\u00dfe \u0130 \u03a3\u0391\u03a3 \u6f22\u5b57 \U0001f600!", "a\tb c(d)e ... --- %%% ***"]
+FOLDED = ["a", "Hello", "HELLO", "\u00c9t\u00e9", "Stra\u00dfe", "\u00d1and\u00fa", "qzxvkj"]
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, put together word by word.
+    """Token ids of texts, put together word by word.
 
-    The tokenizer never lets a token cross white space, so a text's ids are its words' ids in a row. Words are split at spaces and
-    line ends alone (what other white space a word holds is left to the tokenizer) and encoded once for each worker.
+    Words are split at spaces and line ends alone (what other white space a word holds is left to the tokenizer). A slice's words become a
+    dictionary in Arrow, so that only its distinct words pass through Python; ids are then gathered by array arithmetic. Known words are kept
+    in two generations: a word that is met moves to the younger one, and when that has grown to half the bound the older one goes.
+    So frequent words stay, and what is held never exceeds `held_bytes` by more than one slice's words.
+
+    This rests on properties of the tokenizer file, which are probed when it is loaded. If the ids of a text aren't those of its words in a
+    row, `by_words` is False and whole texts are encoded. If case or a closing sign changes the ids of a word's letters, `folds` is False and
+    words are encoded as they stand. Either way the ids are the tokenizer's own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.half = Tokenizer.from_file(path), held_bytes // 2
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.by_words = all(ids(t) == [x for w in t.replace("\n", " ").split(" ") for x in ids(w)] for t in PROBES)
+        self.folds = self.by_words and all(ids(w + t) == ids(w.lower()) + ids(t) for w in FOLDED for t in ["", *TAILS])
         self.empty()
 
     def empty(self) -> None:
-        self.words: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def keep(self, word: str, ids: bytes) -> None:
+        if self.held > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[word] = ids
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+
     def encode_each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode_cores(self, cores: list[str]) -> list[bytes]:
-        """Words of ASCII letters alone: one call for all, cut where a token closes a word."""
+        """Words of letters alone: one call for all, cut where a token closes a word."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.closes[ids]) + 1
         if len(stops) != len(cores):
             return self.encode_each(cores)
-        return [p.tobytes() for p in np.split(ids, stops[:-1])]
-
-    def learn(self, words: set[str]) -> None:
-        split, rest, fresh = [], [], set()
+        whole = ids.tobytes()
+        return [whole[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from what is known or else from the tokenizer."""
+        split = self._split(words)
+        found: dict[str, bytes] = {}
+        cores, others = [], []
+        for core, _, lettered in split:
+            if core in found:
+                continue
+            ids = self.young.get(core)
+            if ids is None and (ids := self.old.get(core)) is not None:
+                self.keep(core, ids)
+            found[core] = ids  # None: to be encoded below
+            if ids is None:
+                (cores if lettered else others).append(core)
+        for new, encode in ((cores, self.encode_cores), (others, self.encode_each)):
+            if new:
+                for core, ids in zip(new, encode(new), strict=True):
+                    found[core] = ids
+                    self.keep(core, ids)
+        return [found[core] + found[tail] if tail else found[core] for core, tail, _ in split]
+
+    def _split(self, words: list[str]) -> list[tuple[str, str, bool]]:
+        """Each word as (core, tail, whether the core is letters alone), with an entry for each tail first."""
+        if not self.folds:
+            return [(w, "", False) for w in words]
+        out = []
         for word in words:
-            core, tail = (word[:-1], word[-1]) if word[-1] in TAILS else (word, "")
-            # other letters may end in a combining mark once normalised, which joins with the tail
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-                split.append((word, core, tail))
-                if core not in self.words:
-                    fresh.add(core)
-            else:
-                rest.append(word)
-        rest += [t for t in TAILS if t not in self.words and t not in words]
-        if fresh:
-            cores = list(fresh)
-            self.words.update(zip(cores, self.encode_cores(cores), strict=True))
-        if rest:
-            self.words.update(zip(rest, self.encode_each(rest), strict=True))
-        for word, core, tail in split:
-            self.words[word] = self.words[core] + self.words[tail]
-        self.held += sum(len(self.words[w]) + len(w) for w in words)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for i in range(0, len(texts), TOGETHER):
-            split = [(text or "").replace("\n", " ").split(" ") for text in texts[i : i + TOGETHER]]
-            if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
-                self.empty()
-            missing: set[str] = set()
-            for words in split:
-                missing.update(set(words).difference(self.words))
-            if missing:
-                self.learn(missing)
-            known = self.words
-            for words in split:
-                yield b"".join([known[w] for w in words])
+            m = LETTERED.fullmatch(word)
+            out.append((m[1].lower(), m[2], True) if m else (word, "", False))
+        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array (null: empty)."""
+        if not self.by_words:
+            for text in texts.to_pylist():
+                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
+            return
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        each = self.ids_of(words.dictionary.to_pylist())
+        known, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        index = words.indices.to_numpy()
+        lengths = sizes[index]
+        ends = np.r_[0, np.cumsum(lengths)]
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield ids[a:b]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -107,24 +146,37 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     A null or empty text has the end id alone. Only texts of more than `capacity` ids have more than one piece.
     """
-    closing = np.array([END_ID], "<u4").tobytes()
+    closing = np.array([END_ID], "<u4")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
-        for batch in batches:
-            rows = []
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            for number, ids in zip(batch["doc_id"], encoder.encode(texts), strict=True):
-                ids += closing
-                for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[i : i + 4 * capacity]
-                    rows.append((number, k, i // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            yield out.astype({"doc_id": batch["doc_id"].dtype})
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
+            rows = [[], [], [], [], [], []]
+            for i, found in enumerate(encoder.encode(batch.column("text"))):
+                ids = np.r_[found, closing].tobytes()
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    for column, value in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            made = [pa.array(x, kind) for x, kind in zip(rows[1:], kinds)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            out = [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), *made]
+            yield pa.RecordBatch.from_arrays(out[: 5 + with_ids], names=names[: 5 + with_ids])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return bounded_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(cut, shape)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(cut, shape)
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows with at most `most` bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 class OpenBins:
