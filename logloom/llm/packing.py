@@ -56,6 +56,7 @@ class WordIds:
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.by_words = all(ids(t) == [x for w in t.replace("\n", " ").split(" ") for x in ids(w)] for t in PROBES)
         self.folds = self.by_words and all(ids(w + t) == ids(w.lower()) + ids(t) for w in FOLDED for t in ["", *TAILS])
+        self.tails = {t: np.array(ids(t), "<u4").tobytes() for t in TAILS}
         self.empty()
 
     def empty(self) -> None:
@@ -100,10 +101,10 @@ class WordIds:
                 for core, ids in zip(new, encode(new), strict=True):
                     found[core] = ids
                     self.keep(core, ids)
-        return [found[core] + found[tail] if tail else found[core] for core, tail, _ in split]
+        return [found[core] + self.tails[tail] if tail else found[core] for core, tail, _ in split]
 
     def _split(self, words: list[str]) -> list[tuple[str, str, bool]]:
-        """Each word as (core, tail, whether the core is letters alone), with an entry for each tail first."""
+        """Each word as (core, tail, whether the core is letters alone)."""
         if not self.folds:
             return [(w, "", False) for w in words]
         out = []
@@ -112,8 +113,9 @@ class WordIds:
             out.append((m[1].lower(), m[2], True) if m else (word, "", False))
         return out
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of a string array (null: empty)."""
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array or list (null: empty)."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not self.by_words:
             for text in texts.to_pylist():
                 yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
