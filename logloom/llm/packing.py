@@ -10,7 +10,6 @@ one that placing every document in turn would give.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,23 +23,23 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, rank_within, read, stored
 
 CAPACITY, END_ID = 4096, 1
-#: Bytes of known words that a Python worker keeps, counted with what Python's objects for a word take; text bytes encoded in one go.
-CACHE_BYTES, ENTRY_BYTES, SLICE_BYTES = 48 << 20, 240, 4 << 20
+#: Bytes of known words and their ids that a Python worker keeps; text bytes encoded in one go.
+CACHE_BYTES, SLICE_BYTES = 12 << 20, 8 << 20
 TAILS = ".,;:!?"
 #: A word of Latin letters, and at most one closing sign. Their lower case is one letter each and none joins with a sign in NFC.
-LETTERED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 #: Texts and words on which a tokenizer's properties are probed.
 PROBES = ["Plain words, here.  Twice\n\nhere. ", " don't WE'LL 'sx it's 3.14 x9", "\u00c9t\u00e9 \u00e9 stra\u00dfe \u0130 \u03a3\u0391\u03a3 \u6f22\u5b57 \U0001f600!", "a\tb c(d)e ... --- %%% ***"]
 FOLDED = ["a", "Hello", "HELLO", "\u00c9t\u00e9", "Stra\u00dfe", "\u00d1and\u00fa", "qzxvkj"]
 
 
 class WordIds:
-    """Token ids of texts, put together word by word.
+    """Token ids of texts, put together word by word in Arrow arrays.
 
     Words are split at spaces and line ends alone (what other white space a word holds is left to the tokenizer). A slice's words become a
-    dictionary in Arrow, so that only its distinct words pass through Python; ids are then gathered by array arithmetic. Known words are kept
-    in two generations: a word that is met moves to the younger one, and when that has grown to half the bound the older one goes.
-    So frequent words stay, and what is held never exceeds `held_bytes` by more than one slice's words.
+    dictionary, and theirs in turn become one of cores: words of letters in lower case, without a closing sign. Only cores that aren't known
+    pass through the tokenizer, so no word is a Python object unless it is new. Ids are kept as bytes, and are joined and gathered by Arrow.
+    When the known cores outgrow `held_bytes`, those used most recently stay, as many as half of it holds.
 
     This rests on properties of the tokenizer file, which are probed when it is loaded. If the ids of a text aren't those of its words in a
     row, `by_words` is False and whole texts are encoded. If case or a closing sign changes the ids of a word's letters, `folds` is False and
@@ -50,68 +49,62 @@ class WordIds:
     def __init__(self, path: str, held_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.half = Tokenizer.from_file(path), held_bytes // 2
+        self.tokenizer, self.held_bytes = Tokenizer.from_file(path), held_bytes
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.by_words = all(ids(t) == [x for w in t.replace("\n", " ").split(" ") for x in ids(w)] for t in PROBES)
         self.folds = self.by_words and all(ids(w + t) == ids(w.lower()) + ids(t) for w in FOLDED for t in ["", *TAILS])
-        self.tails = {t: np.array(ids(t), "<u4").tobytes() for t in TAILS}
+        self.tails = self.encode_each(["", *TAILS])
         self.empty()
 
     def empty(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.known, self.ids, self.used, self.now = pa.array([], pa.string()), pa.array([], pa.binary()), np.empty(0, np.int64), 0
 
-    def keep(self, word: str, ids: bytes) -> None:
-        if self.held > self.half:
-            self.old, self.young, self.held = self.young, {}, 0
-        self.young[word] = ids
-        self.held += ENTRY_BYTES + len(word) + len(ids)
+    def encode_each(self, words: list[str]) -> pa.Array:
+        return pa.array([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)], pa.binary())
 
-    def encode_each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode_cores(self, cores: list[str]) -> list[bytes]:
+    def encode_cores(self, cores: list[str]) -> pa.Array:
         """Words of letters alone: one call for all, cut where a token closes a word."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.closes[ids]) + 1
         if len(stops) != len(cores):
             return self.encode_each(cores)
-        whole = ids.tobytes()
-        return [whole[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words, from what is known or else from the tokenizer."""
-        split = self._split(words)
-        found: dict[str, bytes] = {}
-        cores, others = [], []
-        for core, _, lettered in split:
-            if core in found:
-                continue
-            ids = self.young.get(core)
-            if ids is None and (ids := self.old.get(core)) is not None:
-                self.keep(core, ids)
-            found[core] = ids  # None: to be encoded below
-            if ids is None:
-                (cores if lettered else others).append(core)
-        for new, encode in ((cores, self.encode_cores), (others, self.encode_each)):
-            if new:
-                for core, ids in zip(new, encode(new), strict=True):
-                    found[core] = ids
-                    self.keep(core, ids)
-        return [found[core] + self.tails[tail] if tail else found[core] for core, tail, _ in split]
-
-    def _split(self, words: list[str]) -> list[tuple[str, str, bool]]:
-        """Each word as (core, tail, whether the core is letters alone)."""
+        offsets = np.r_[0, 4 * stops].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(cores), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def ids_of(self, cores: pa.Array) -> pa.Array:
+        """The ids of distinct cores, from what is known or else from the tokenizer."""
+        self.now += 1
+        at = pc.index_in(cores, value_set=self.known).to_numpy(zero_copy_only=False)  # NaN: not known
+        fresh = np.flatnonzero(np.isnan(at)) if at.dtype.kind == "f" else np.empty(0, np.int64)
+        if len(fresh):
+            new = cores.take(pa.array(fresh))
+            lettered = pc.match_substring_regex(new, LETTERS + "$").to_numpy(zero_copy_only=False) & self.folds
+            for encode, part in ((self.encode_cores, lettered), (self.encode_each, ~lettered)):
+                if part.any():
+                    words = new.filter(pa.array(part))
+                    at[fresh[part]] = np.arange(len(words)) + len(self.known)
+                    self.known, self.ids = pa.concat_arrays([self.known, words]), pa.concat_arrays([self.ids, encode(words.to_pylist())])
+            self.used = np.r_[self.used, np.zeros(len(new), np.int64)]
+        at = at.astype(np.int64)
+        self.used[at] = self.now
+        found = self.ids.take(pa.array(at))
+        held = self.known.nbytes + self.ids.nbytes + self.used.nbytes
+        if held > self.held_bytes:
+            stay = np.argsort(-self.used, kind="stable")[: len(self.used) * self.held_bytes // (2 * held)]
+            self.known, self.ids, self.used = self.known.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.used[stay]
+        return found
+
+    def ids_of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words: those of their cores and closing signs."""
         if not self.folds:
-            return [(w, "", False) for w in words]
-        out = []
-        for word in words:
-            m = LETTERED.fullmatch(word)
-            out.append((m[1].lower(), m[2], True) if m else (word, "", False))
-        return out
+            return self.ids_of(words)
+        lettered = pc.match_substring_regex(words, LETTERS + "[" + TAILS + "]?$")
+        cores = pc.if_else(lettered, pc.utf8_lower(pc.utf8_rtrim(words, TAILS)), words).dictionary_encode()
+        sign = pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(TAILS)))
+        tails = pc.if_else(lettered, pc.add(sign.fill_null(-1), 1), 0)
+        return pc.binary_join_element_wise(self.ids_of(cores.dictionary).take(cores.indices), self.tails.take(tails), b"")
 
     def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text of a string array or list (null: empty)."""
@@ -122,12 +115,10 @@ class WordIds:
             return
         split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        each = self.ids_of(words.dictionary.to_pylist())
-        known, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
-        index = words.indices.to_numpy()
-        lengths = sizes[index]
-        ends = np.r_[0, np.cumsum(lengths)]
-        ids = known[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], lengths) + np.arange(ends[-1])]
+        each = self.ids_of_words(words.dictionary).cast(pa.large_binary()).take(words.indices)
+        _, ends, data = each.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(each) + 1] // 4
+        ids = np.frombuffer(data, "<u4") if data is not None and data.size else np.empty(0, "<u4")
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         for a, b in zip(bounds, bounds[1:]):
             yield ids[a:b]

@@ -147,3 +147,23 @@ def test_mixed_documents(spark):
     assert out.toPandas().groupby("doc_id").size().to_dict() == counts[counts > 0].to_dict()
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mixed_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_cased_tokenizer_and_a_byte_level_one_keep_their_own_ids(tmp_path):
+    """Where case or spaces count, the shortcuts are off; with a cache too small for one slice the ids are the same as well."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    texts = ["", None, "Hello hello, HELLO.  a\nb", " x" * 50]
+    vocab = {c: i for i, c in enumerate(sorted({*pre_tokenizers.ByteLevel.alphabet(), "He", "Ġx"}))}
+    cased = Tokenizer(models.BPE(vocab, [("H", "e"), ("Ġ", "x")]))
+    cased.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    cased.save(str(tmp_path / "cased.json"))
+    found = packing.WordIds(str(tmp_path / "cased.json"))
+    assert not found.by_words and not found.folds
+    assert [x.tolist() for x in found.encode(texts)] == [cased.encode(t or "", add_special_tokens=False).ids for t in texts]
+    small = packing.WordIds(packing.tokenizer_path(), held_bytes=200)
+    texts += [" ".join(f"w{'abcdefgh'[i % 8]}{'xyz'[i % 3]}" for i in range(k, k + 40)) + "!" for k in range(30)]
+    for text in texts * 2:
+        assert next(small.encode([text])).tolist() == small.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert small.known.nbytes + small.ids.nbytes + small.used.nbytes <= 200
+    assert [x.tolist() for x in small.encode(["", ""])] == [[], []]
