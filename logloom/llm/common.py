@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,18 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests only)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local.
+
+    Without one on a cluster this raises: executors would write where no other reads.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    return set_by_cluster or _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    if set_by_cluster:
+        return set_by_cluster
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="spark-")
+    return _own["dir"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+def bounded_batches(docs: DataFrame, rows: int = 256) -> DataFrame:
     """docs, with the session's Arrow batches held to `rows` rows: whole texts go to Python, and a batch of them has to fit beside others."""
     conf = docs.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -119,6 +119,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, rows: int = FIT_ROWS, l
         yield pd.DataFrame({"k": range(len(marks)), "v": list(np.hstack([gram, goal]))})
 
     parts = chosen.mapInPandas(sums, "k int, v array<double>").select("k", F.posexplode("v").alias("j", "v")).groupBy("k", "j").agg(F.sum("v").alias("v")).collect()
+    shared.destroy()
     total = np.zeros((len(marks), len(marks) + len(labels)))
     for r in parts:  # landmarks x (landmarks + languages) numbers
         total[r["k"], r["j"]] = r["v"]
@@ -139,8 +140,8 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
     @F.pandas_udf("lang_pred string, score double")
     def decide(values: pd.Series) -> pd.DataFrame:
         labels, scores = [], []
-        for i in range(0, len(values), 256):
-            a, b = shared.value.decide([t if isinstance(t, str) else None for t in values.iloc[i : i + 256]])
+        for i in range(0, len(values), 64):
+            a, b = shared.value.decide([t if isinstance(t, str) else None for t in values.iloc[i : i + 64]])
             labels += a
             scores.append(b)
         return pd.DataFrame({"lang_pred": labels, "score": np.concatenate(scores) if scores else np.empty(0)})

@@ -24,7 +24,7 @@ from .common import bounded_batches, rank_within, read, stored
 
 CAPACITY, END_ID = 4096, 1
 #: Bytes of known words and their ids that a Python worker keeps; text bytes encoded in one go.
-CACHE_BYTES, SLICE_BYTES = 12 << 20, 8 << 20
+CACHE_BYTES, SLICE_BYTES = 12 << 20, 2 << 20
 TAILS = ".,;:!?"
 #: A word of Latin letters, and at most one closing sign. Their lower case is one letter each and none joins with a sign in NFC.
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
