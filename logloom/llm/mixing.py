@@ -133,9 +133,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """The mix itself: each row of docs as often as its copies say, with the columns of docs."""
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    taken = stored(mix(numbered.select("__row", "doc_id", "source", "text"), weights, share, limit).select("__row", "copies").where("copies > 0"), "taken")
+    taken = stored(mix(numbered.select("__row", "doc_id", "source", "text"), weights, share, limit).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies")), "taken")
     # a row for each document: joined by a shuffle at any size, never broadcast
-    out = numbered.join(taken.hint("merge"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = numbered.join(taken.hint("merge"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -43,6 +43,12 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(F.coalesce(key, F.lit(0).cast("long")))
 
 
+def key_number(docs: DataFrame, key: str) -> Column:
+    """The long that a key column is placed by: whole numbers as they are, other types by their XXH64."""
+    whole = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
+    return F.col(f"`{key}`").cast("long") if whole else F.xxhash64(F.col(f"`{key}`"))
+
+
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns of docs but the text, plus size (UTF-8 bytes + 1), text_crc32, law, shard, slot and grown_shard.
 
@@ -50,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     the place with one more shard. Null keys hash as 0, null texts have size 1. Equal keys share a shard: the law is `key`.
     Clashing column names of docs are replaced. An empty table gives an empty table.
     """
-    number = F.xxhash64(F.col(f"`{key}`")) if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint") else F.col(f"`{key}`").cast("long")
+    number = key_number(docs, key)
     sized = (
         docs.withColumn("size", F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1)
         .withColumn("text_crc32", utf8_crc32(F.col(f"`{text}`")))
@@ -62,9 +68,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id", text: str = "text") -> None:
-    """Write whole documents as one folder of Parquet for each shard, each in many files if it is large."""
-    number = F.xxhash64(F.col(f"`{key}`")) if dict(docs.dtypes)[key] != "bigint" else F.col(f"`{key}`")
-    placed = docs.withColumn("shard", jump_shard(number, shards))
+    """Write whole documents as one folder of Parquet for each shard, the one that shard() names, each in many files if it is large."""
+    placed = docs.withColumn("shard", jump_shard(key_number(docs, key), shards))
     placed.repartition("shard", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(64))).write.partitionBy("shard").parquet(path)
 
 
