@@ -56,10 +56,15 @@ WORD = re.compile(r"=\?[^?]*\?([A-Za-z])\?([^?]*)\?=")
 
 @F.pandas_udf(T.StringType())
 def decode_mime_q(values: pd.Series) -> pd.Series:
-    """Every =?charset?Q or B?...?= in a text; bytes are read as UTF-8."""
+    """Every =?charset?Q or B?...?= in a text; bytes are read as UTF-8. Of malformed base64 the whole groups count."""
 
     def word(m: re.Match) -> str:
-        raw = base64.b64decode(m[2] + "=" * (-len(m[2]) % 4)) if m[1] in "bB" else quopri.decodestring(m[2].encode(), header=True)
+        if m[1] in "bB":
+            sixes = re.sub("[^A-Za-z0-9+/]", "", m[2])
+            sixes = sixes[:-1] if len(sixes) % 4 == 1 else sixes  # one sign alone holds no byte
+            raw = base64.b64decode(sixes + "=" * (-len(sixes) % 4))
+        else:
+            raw = quopri.decodestring(m[2].encode("utf-8", "surrogatepass"), header=True)
         return raw.decode("utf-8", "replace")
 
     return values.map(lambda v: None if v is None else WORD.sub(word, v))

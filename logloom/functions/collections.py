@@ -155,8 +155,10 @@ def from_entries(c: Column) -> Fallible:
 
 
 def object_from_array(values_: Column, keys_: Column) -> Column:
+    """Values and keys, place by place, as a map; what one array has more than the other is left out. Empty arrays give an empty map."""
     n = F.least(F.size(values_), F.size(keys_))
-    return _last_wins(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.get(keys_, i - 1).alias("key"), F.get(values_, i - 1).alias("value"))))
+    entries = F.transform(F.arrays_zip(keys_.alias("key"), values_.alias("value")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return _last_wins(F.slice(entries, 1, n))
 
 
 def unnest(event: Column, field: str) -> Column:

@@ -119,18 +119,28 @@ def parse_regex_all(c: Column, pattern: str) -> Column:
     return F.arrays_zip(*columns)
 
 
+#: A text of so many bytes is no number.
+LONGEST_NUMBER = 128
+
+
 def parse_int(c: Column, base: int = 10) -> Fallible:
-    """Leading digits. Base 10 finds out: 0x is 16, a leading 0 is 8."""
+    """Leading digits. Base 10 finds out: 0x is 16, a leading 0 is 8. Numbers beyond a long become the nearest one; texts of 128 bytes or more are an error."""
     sign = F.when(F.regexp_extract(c, SPACE + "([+-]?)", 1) == "-", -1).otherwise(1)
 
     def read(lead: str, digits: str, of: int) -> Column:
-        found = F.regexp_extract(c, f"(?i){SPACE}[+-]?{lead}([{digits}]{{1,20}})", 1)
-        return F.when(found != "", F.conv(found, of, 10))
+        found = F.regexp_extract(c, f"(?i){SPACE}[+-]?{lead}0*([{digits}]{{1,70}})", 1)
+        # all but the last digit of a number with no more digits than 2**63 fit in a long, so conv can't overflow; longer ones are beyond it
+        longest = next(n for n in range(1, 65) if of**n >= 2**63)
+        wide = lambda text: F.coalesce(F.conv(text, of, 10).cast("decimal(38,0)"), F.lit(0))
+        lead = F.substring(found, 1, F.least(F.length(found), F.lit(longest)) - 1)
+        whole = wide(F.when(lead != "", lead)) * of + wide(F.right(found, F.lit(1)))
+        return F.when(found != "", F.when(F.length(found) > longest, F.lit(str(2**63)).cast("decimal(38,0)")).otherwise(whole))
 
     plain = "".join("0123456789abcdefghijklmnopqrstuvwxyz"[:base])
     digits = F.coalesce(read("0x", "0-9a-f", 16), read("0(?=[0-7])", "0-7", 8), read("", "0-9", 10)) if base == 10 else read("0x" if base == 16 else "(?=)", plain, base) if base != 16 else F.coalesce(read("0x", plain, 16), read("", plain, 16))
-    value = F.least(digits.cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint") * sign
-    return fallible(digits.isNotNull(), value, "parse_int: no digits")
+    low, high = (F.lit(str(x)).cast("decimal(38,0)") for x in (-(2**63), 2**63 - 1))
+    value = F.greatest(low, F.least(high, digits.cast("decimal(38,0)") * sign)).cast("bigint")
+    return fallible(digits.isNotNull() & (F.octet_length(c) < LONGEST_NUMBER), value, "parse_int: no digits, or too long")
 
 
 def parse_bytes(c: Column, unit: str = "B", base: str = "2") -> Fallible:
