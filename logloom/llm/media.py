@@ -4,7 +4,7 @@ A payload is wrapped as a WAV file of 8-bit samples: a header, then the payload.
 further on. Chunk digests are deduplicated by Spark aggregations and joins: each distinct chunk is kept by one medium alone, its owner, in that medium's pack; the
 others list its digest. A medium's ordered chunk list then gives back its bytes, checked against every chunk's digest and the whole's.
 
-Bytes move as little as they can. Chunk lists (digests and lengths) are what is shuffled to find owners. A pack whose medium shares nothing is read back where it lies;
+Bytes move as little as they can, by one plan at any size. Chunk lists (digests and lengths) are what is shuffled to find owners. A pack whose medium shares nothing is read back where it lies;
 only chunks that others list, and packs that list others' chunks, travel.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, read, shared_folder, stored
 
 LEAST, USUAL_BITS, MOST, DIGEST = 512, 11, 16_384, 16
-#: A table of marks with at most so many rows is broadcast to the documents; a larger one is joined by a shuffle.
+#: Rows, of 64 bits each, of the table that tells which texts may have marks: it is broadcast, and has no more rows than this at any size.
 BROADCAST_ROWS = 300_000
 #: The random number of each byte value in the gear hash: any fixed ones do.
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -96,24 +96,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def ownership(lists: DataFrame) -> DataFrame:
-    """For media that share anything: key, owner (the doc_id that keeps the medium; null if it has no copy), absent and lent chunk numbers.
+    """For media that share anything: key, absent and lent chunk numbers (null for a medium that has copies and shares nothing else).
 
     A digest's owner is the place with the least hash among all that list it: one aggregation over digests, whatever their number of places.
     """
-    media = stored(lists.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("owner"), F.any_value("digests").alias("digests")), "media")
+    media = stored(lists.groupBy("key").agg(F.count("*").alias("rows"), F.any_value("digests").alias("digests")), "media")
     chunks = media.select("key", F.posexplode("digests").alias("number", "digest")).withColumn("place", F.xxhash64("key", "number"))
     shared = stored(chunks.groupBy("digest").agg(F.count("*").alias("places"), F.min("place").alias("first")).where("places > 1").drop("places"), "shared")
     own = F.col("place") == F.col("first")
     marks = chunks.join(shared, "digest").groupBy("key").agg(F.collect_list(F.when(~own, F.col("number"))).alias("absent"), F.collect_list(F.when(own, F.col("number"))).alias("lent"))
-    copies = media.where("rows > 1").select("key", "owner", F.lit(True).alias("copied"))
+    copies = media.where("rows > 1").select("key")
     return stored(copies.join(marks, "key", "full"), "marks")
 
 
+def may_be_marked(keyed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of keyed (key, ...) with `maybe`: true for every key that marks has, and for a few others whose bit is the same.
+
+    So texts that share nothing stay where they are. The more marks there are for the table's bits, the more texts go on to the join.
+    """
+    rows = max(1, BROADCAST_ROWS)
+    word, bit = F.pmod(F.xxhash64("key"), F.lit(rows)).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(key, 1), 64) as int))").alias("bit")
+    table = stored(marks.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")), "marked_bits")
+    met = keyed.withColumns({"word": word, "bit": bit}).join(F.broadcast(table), "word", "left")
+    return met.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).drop("word", "bit", "bits")
+
+
 def packs(docs: DataFrame, marks: DataFrame, path: str) -> DataFrame:
     """Write one pack for each medium to path: its chunk list and, in a row, the bytes of the chunks that it owns."""
-    kept = F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("owner"))
-    few = marks.count() <= BROADCAST_ROWS
-    marked = _keyed(docs).join(F.broadcast(marks) if few else marks, "key", "left").where(kept)
+    keyed = may_be_marked(_keyed(docs), marks)
+    alone = keyed.where("not maybe").select("key", "text", *[F.lit(None).cast("array<int>").alias(c) for c in ("absent", "lent")])
+    once = keyed.where("maybe").groupBy("key").agg(F.any_value("text").alias("text"))  # copies of a text are already few when they leave their tasks
+    marked = once.join(marks.hint("merge"), "key", "left").select("key", "text", "absent", "lent")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,7 +141,7 @@ def packs(docs: DataFrame, marks: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "head", "media_sha", "lengths", "digests", "absent", "lent", "body"])
 
     shape = "key binary, head binary, media_sha binary, lengths array<int>, digests array<binary>, absent array<int>, lent array<int>, body binary"
-    made = marked.select("key", "text", "absent", "lent").mapInPandas(pack, shape)
+    made = alone.union(marked).mapInPandas(pack, shape)
     made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
@@ -184,7 +197,7 @@ def read_back(stored_packs: DataFrame, use: Callable[[bytes], tuple], shape: str
 def store(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """(members, packs) of docs (doc_id, text): members has doc_id, key and n_bytes of every row, packs (under path) each distinct medium once.
 
-    Null texts count as empty; equal texts are one medium. Repeated rows may repeat a pack, with the same bytes. Other columns are left out.
+    Null texts count as empty; equal texts are one medium, also where rows repeat. Other columns are left out.
     """
     lists = stored(chunk_lists(docs), "chunk_lists")
     return lists.select("doc_id", "key", "n_bytes"), packs(docs, ownership(lists), path)
