@@ -63,3 +63,41 @@ def test_one_row_of_a_group_stays_with_repeated_and_null_ids(spark):
     rows = [*rows, rows[0], rows[0], (None, rows[0][1], None, None, None), (None, "alone " * 9, None, None, None), (None, "alone " * 9, None, None, None), (None, None, None, None, None), (-1, " ", None, None, None)]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(rows[i][0]) for i in plain_kept(rows)) and [r.doc_id for r in kept].count(0) == 1
+
+
+def test_prints_meet_by_deletion_variants():
+    """Two prints meet exactly where a segment differs in at most one bit."""
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 256, 216, dtype=np.uint8)
+    for at in (0, 9, 12, 23):
+        other = one.copy().reshape(72, 3)
+        other[:] ^= np.array([1, 0, 1], np.uint8)  # two bits of each segment, one in either half
+        assert not (neardup._halves(one[None])[0] == neardup._halves(other.reshape(1, -1))[0]).any()
+        other[17] = one.reshape(72, 3)[17]
+        other[17, at // 8] ^= 128 >> at % 8
+        halves = [neardup._halves(p.reshape(1, -1)) for p in (one, other)]
+        keys, rests, rows = (np.concatenate(x) for x in (*zip(*halves, strict=True), [[0] * 144, [1] * 144]))
+        order = np.argsort(keys, kind="stable")
+        a, b, crowd = neardup._under_variants(keys[order], rests[order].astype(np.int64), np.zeros((288, 2), np.uint64))
+        assert {(rows[order][x], rows[order][y]) for x, y in zip(a, b, strict=True)} == {(1, 0)} and len(a) == 1 and not len(crowd)
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rng, made = np.random.default_rng(6), []
+    words, texts = [f"w{i}" for i in range(150)], []
+    for k in range(400):
+        words = list(words) if k % 20 else [*texts[0].split()] if texts else words
+        words[rng.integers(150)] = f"v{k}"
+        texts.append(" ".join(words))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    keep = neardup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made.append(out.count() if name in ("pairs", "across") else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    kept = neardup.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(plain_kept(rows))
+    assert sum(made) < 15 * len(rows)
