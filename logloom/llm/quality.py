@@ -4,8 +4,8 @@ Every document has a strength, a weighted sum of features of its whole text. Tha
 1 / (1 + exp(strength j - strength i)), so the weights come from a logistic loss on feature differences over pairs of a preferred and a rejected document.
 The threshold is a quantile of the strengths: below it lies the share of documents that the labels reject. Scores map it to `cut`.
 
-The documents that are paired are a bounded sample by hash, evenly from both labels; its bound is a parameter. Pairs are made by an equality join, and
-Newton's iterations sum their gradient and curvature with Spark.
+All labelled documents are paired, and the threshold is an exact quantile of all their strengths. Pairs are made by an equality join, Newton's
+iterations sum their gradient and curvature with Spark, and the quantile is found by counts in ever narrower bins.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_crc32, partitions, read, sample_keys, stored
+from .common import bounded_batches, id_crc32, partitions, rank_within, read, sample_keys, stored
 
-DOCS_EACH, PARTNERS, RIDGE, ITERATIONS, CUT = 3000, 6, 1e-3, 12, 0.3
+PARTNERS, RIDGE, ITERATIONS, CUT = 6, 1e-3, 12, 0.3
+#: Bins of one pass that looks for a quantile.
+BINS = 4096
 FEATURES = ("length", "words", "upper", "digit", "symbol", "space", "lines", "word_length", "new_words", "top_word", "echo", "new_lines", "shout", "wordless", "ends", "same_symbol")
 
 #: The class of each byte: 0 other, 1 lower, 2 upper, 3 digit, 4 plain punctuation, 5 symbol, 6 space, 7 part of a non-ASCII character.
@@ -88,7 +90,7 @@ def pairs(chosen: DataFrame, partners: int = PARTNERS) -> DataFrame:
 
     Each document of label 1 meets `partners` of label 0, or more where that many don't reach all of label 0.
     """
-    numbered = chosen.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1)
+    numbered = rank_within(chosen.withColumn("__order", F.xxhash64("doc_id")), ["label"], ["__order", "doc_id"], "place")
     good, bad = numbered.where("label = 1"), numbered.where("label = 0")
     counts = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -99,16 +101,17 @@ def pairs(chosen: DataFrame, partners: int = PARTNERS) -> DataFrame:
     return meet.join(bad.select("place", F.col("features").alias("worse")), "place").select("better", "worse")
 
 
-def fit(labelled: DataFrame, docs: DataFrame, each: int = DOCS_EACH, partners: int = PARTNERS, ridge: float = RIDGE) -> Ranking:
-    """Fit on labelled (doc_id, label 0 or 1) and docs (doc_id, text), with up to `each` documents of either label.
+def fit(labelled: DataFrame, docs: DataFrame, each: int | None = None, partners: int = PARTNERS, ridge: float = RIDGE) -> Ranking:
+    """Fit on labelled (doc_id, label 0 or 1) and docs (doc_id, text), with all labelled documents, or up to `each` of either label.
 
     Rows with a null id or label teach nothing. Without pairs all weights are 0.
     """
     spark, width = docs.sparkSession, len(FEATURES)
     known = labelled.where(F.col("label").isin(0, 1)).select("label", "doc_id").distinct()
-    ids = stored(sample_keys(known, "label", "doc_id", each), "quality_ids")  # at most 2 x each rows
-    chosen = with_features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).select("doc_id", "label", "features")
-    chosen = stored(chosen.repartition(min(16, partitions(spark))), "quality_docs")
+    ids = stored(known.where("doc_id is not null") if each is None else sample_keys(known, "label", "doc_id", each), "quality_ids")
+    # texts stay in place: only the few features of those that have a label are dealt out
+    marks = with_features(docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "features")
+    chosen = stored(marks.join(ids, "doc_id").select("doc_id", "label", "features").repartition(partitions(spark)), "quality_docs")
     stats = chosen.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     centre, scale = np.zeros(width), np.ones(width)
     for r in stats:
@@ -119,14 +122,16 @@ def fit(labelled: DataFrame, docs: DataFrame, each: int = DOCS_EACH, partners: i
     def sums(weights: np.ndarray):
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, unit = np.zeros((width, width + 1)), Ranking(np.eye(width), centre, scale, 0.0)
+            count = 0
             for batch in batches:
                 if len(batch):
                     gaps = unit.strengths(np.stack(batch["better"])) - unit.strengths(np.stack(batch["worse"]))
                     wrong = 1 / (1 + np.exp(gaps @ weights))  # the probability that the pair goes the other way
                     total[:, 0] += gaps.T @ wrong
                     total[:, 1:] += (gaps * (wrong * (1 - wrong))[:, None]).T @ gaps
-                    yield pd.DataFrame({"n": [len(batch)], "v": [total.ravel()]})
-                    total = np.zeros((width, width + 1))
+                    count += len(batch)
+            if count:
+                yield pd.DataFrame({"n": [count], "v": [total.ravel()]})
 
         return part
 
@@ -142,30 +147,46 @@ def fit(labelled: DataFrame, docs: DataFrame, each: int = DOCS_EACH, partners: i
         ranking.weights = ranking.weights + step
         if np.abs(step).max() < 1e-4:
             break
-    shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ranking.threshold = quantile_threshold(chosen, ranking, shares)
+    ranking.threshold = quantile_threshold(chosen, ranking)
     return ranking
 
 
-def quantile_threshold(chosen: DataFrame, ranking: Ranking, shares: dict[int, int]) -> float:
+def at_ranks(values: DataFrame, ranks: list[int]) -> list[float]:
+    """The values (column s, double) at these ranks from 0, exactly: each pass counts the values of a range in BINS bins and goes on with the bin of the rank."""
+
+    def one(rank: int) -> float:
+        low, high, before = *values.agg(F.min("s"), F.max("s")).first(), 0
+        while low < high:
+            bin_ = F.least(F.floor((F.col("s") - F.lit(low)) / F.lit((high - low) / BINS)), F.lit(BINS - 1)).alias("bin")
+            for r in values.where(F.col("s").between(low, high)).groupBy(bin_).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").collect():
+                if before + r["n"] > rank:
+                    break
+                before += r["n"]
+            low, high = r["low"], r["high"]
+        return low
+
+    return [one(r) for r in ranks]
+
+
+def quantile_threshold(chosen: DataFrame, ranking: Ranking) -> float:
     """The quantile of strengths below which lies label 0's share of the labelled documents.
 
-    The sample is even, so its rows are weighed back to the labels' shares. The threshold lies in the middle between the quantiles just below and just above that
-    share, and so between the labels where strengths part them.
+    It lies in the middle between the quantiles just below and just above that share (3 % of either label away), and so between the labels where
+    strengths part them.
     """
 
     @F.pandas_udf("double")
     def strength(values: pd.Series) -> pd.Series:
         return pd.Series(ranking.strengths(np.stack(values)) if len(values) else [], dtype=float)
 
-    taken = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(taken) < 2:
+    counts = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return 0.0
-    weigh = {k: max(1, round(1000 * shares[k] / sum(shares.values()) * sum(taken.values()) / taken[k])) for k in taken}
-    share = shares[0] / sum(shares.values())
-    weight = F.when(F.col("label") == 1, weigh[1]).otherwise(weigh[0])
-    near = [max(0.0, share * 0.97), min(1.0, share + 0.03 * (1 - share))]
-    low, high = chosen.select(strength("features").alias("s"), weight.alias("w")).agg(F.percentile("s", F.array(*map(F.lit, near)), F.col("w"))).first()[0]
+    last, share = sum(counts.values()) - 1, counts[0] / sum(counts.values())
+    places = [last * q for q in (max(0.0, share * 0.97), min(1.0, share + 0.03 * (1 - share)))]
+    whole = [math.floor(x) for x in places]
+    found = at_ranks(stored(chosen.select(strength("features").alias("s")), "quality_strengths"), [*whole, *(min(last, k + 1) for k in whole)])
+    low, high = (found[i] + (found[i + 2] - found[i]) * (places[i] - whole[i]) for i in range(2))
     return (low + high) / 2
 
 

@@ -109,3 +109,26 @@ def test_sample_keys_is_even_and_bounded(spark):
     got = {r["label"]: r["count"] for r in common.sample_keys(rows, "label", "key", 300).groupBy("label").count().collect()}
     assert got == {"hot": 300, "cold": 300}
     assert common.sample_keys(rows.limit(0), "label", "key", 5).count() == 0
+
+
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    rng, seen, keep = np.random.default_rng(8), {}, quality.stored
+
+    def counted(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(quality, "stored", counted)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "Text!"], 4)), int(i % 10 > 0)) for i in range(8000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality.fit(spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int"), docs)
+    assert seen["quality_docs"].count() == 8000
+    strengths = model.strengths(np.array([quality.features(r[1]) for r in rows]))
+    want = np.quantile(strengths, [0.1 * 0.97, 0.1 + 0.03 * 0.9]).mean()
+    assert model.threshold == pytest.approx(want, abs=1e-9)
+
+
+def test_values_at_ranks_are_exact(spark):
+    values = np.random.default_rng(9).normal(size=5000).round(3) * 10.0 ** np.arange(5000).__mod__(9)
+    got = quality.at_ranks(spark.createDataFrame([(float(v),) for v in values], "s double"), [0, 17, 2500, 4999])
+    assert got == [np.sort(values)[k] for k in (0, 17, 2500, 4999)]
