@@ -149,3 +149,16 @@ def test_own_wordings_and_native_plan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_trees_learn_from_all_texts(spark, monkeypatch):
+    seen, keep = {}, pii.stored
+
+    def counted(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(pii, "stored", counted)
+    texts = [f"jo.{i}@mail.example.com on 2020-01-02 10:11:12" for i in range(4500)]
+    pii.fit(spark.createDataFrame([(t,) for t in [*texts, *texts[:100]]], "text string"))
+    assert seen["pii_lessons"].count() == sum(len(list(pii.lessons(t))) for t in texts)
