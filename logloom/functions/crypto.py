@@ -90,13 +90,22 @@ def hmac(c: Column, key: Column, algorithm: str = "SHA-256") -> Column:
     return sign(c.cast("binary"), key.cast("binary"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def xor(a: Column, b: Column) -> Column:
     """Two binary columns of one length, xored, four bytes at a time."""
-    words = F.sequence(F.lit(0), F.ceil(F.octet_length(a) / 4).cast("int") - 1)
-    word = lambda c, i: F.conv(F.hex(F.substring(c, i * 4 + 1, F.lit(4))), 16, 10).cast("bigint")
-    width = lambda i: 2 * F.least(F.lit(4), F.octet_length(a) - i * 4)
-    mixed = F.transform(words, lambda i: F.lpad(F.hex(word(a, i).bitwiseXOR(word(b, i))), width(i), F.lit("0")))
-    return F.when(F.octet_length(a) == 0, a).otherwise(F.unhex(F.array_join(mixed, "")))
+
+    def mixed(a: Column, b: Column) -> Column:
+        words = F.sequence(F.lit(0), F.ceil(F.octet_length(a) / 4).cast("int") - 1)
+        word = lambda c, i: F.conv(F.hex(F.substring(c, i * 4 + 1, F.lit(4))), 16, 10).cast("bigint")
+        width = lambda i: 2 * F.least(F.lit(4), F.octet_length(a) - i * 4)
+        each = F.transform(words, lambda i: F.lpad(F.hex(word(a, i).bitwiseXOR(word(b, i))), width(i), F.lit("0")))
+        return F.when(F.octet_length(a) == 0, a).otherwise(F.unhex(F.array_join(each, "")))
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: mixed(s["a"], s["b"]))
 
 
 def _aes(block: Column, key: Column) -> Column:
@@ -127,18 +136,22 @@ def _counter(iv: Column, i: Column) -> Column:
 
 
 def _stream(c: Column, mode: str, key: Column, iv: Column, forward: bool) -> Column:
-    blocks = _blocks(c)
+    return _let(_blocks(c), lambda blocks: _stream_of(blocks, mode, key, iv, forward))
+
+
+def _stream_of(blocks: Column, mode: str, key: Column, iv: Column, forward: bool) -> Column:
     joined = lambda xs: F.unhex(F.array_join(F.transform(xs, lambda x: F.hex(x)), ""))
     mixed = lambda x, pad: xor(x, F.substring(pad, F.lit(1), F.octet_length(x)))
     if mode.startswith("CTR"):
         return joined(F.transform(blocks, lambda x, i: mixed(x, _aes(_counter(iv, i.cast("bigint")), key))))
+    empty = F.struct(iv.alias("last"), F.lit(b"").alias("out"))
     if mode == "OFB":
-        empty = F.struct(iv.alias("last"), F.lit(b"").alias("out"))
-        step = lambda s, x: (lambda pad: F.struct(pad.alias("last"), F.concat(s["out"], mixed(x, pad)).alias("out")))(_aes(s["last"], key))
+        step = lambda s, x: _let(_aes(s["last"], key), lambda pad: F.struct(pad.alias("last"), F.concat(s["out"], mixed(x, pad)).alias("out")))
         return F.aggregate(blocks, empty, step, lambda s: s["out"])
     if not forward:
         return joined(F.transform(blocks, lambda x, i: mixed(x, _aes(F.when(i == 0, iv).otherwise(F.get(blocks, i - 1)), key))))
-    return F.aggregate(blocks, F.struct(iv.alias("last"), F.lit(b"").alias("out")), lambda s, x: (lambda y: F.struct(y.alias("last"), F.concat(s["out"], y).alias("out")))(mixed(x, _aes(s["last"], key))), lambda s: s["out"])
+    step = lambda s, x: _let(mixed(x, _aes(s["last"], key)), lambda y: F.struct(y.alias("last"), F.concat(s["out"], y).alias("out")))
+    return F.aggregate(blocks, empty, step, lambda s: s["out"])
 
 
 def _cipher(c: Column, algorithm: str, key: Column, iv: Column, forward: bool) -> Column:
@@ -147,14 +160,16 @@ def _cipher(c: Column, algorithm: str, key: Column, iv: Column, forward: bool) -
     name, bits, mode = algorithm.upper().split("-", 2)
     if name != "AES" or int(bits) not in (128, 192, 256) or mode not in ("CFB", "OFB", "CTR", "CTR-BE", "CBC-PKCS7"):
         raise ValueError(f"unknown algorithm {algorithm}")
-    raw, key, iv = c.cast("binary"), key.cast("binary"), iv.cast("binary")
+    key, iv = key.cast("binary"), iv.cast("binary")
     bad = (F.octet_length(key) != int(bits) // 8) | (F.octet_length(iv) != BLOCK)
-    if mode == "CBC-PKCS7":
+
+    def done(raw: Column) -> Column:
+        if mode != "CBC-PKCS7":
+            return _stream(raw, mode, key, iv, forward)
         args = (key, F.lit("CBC"), F.lit("PKCS"))
-        done = F.substring(F.aes_encrypt(raw, *args, iv), F.lit(BLOCK + 1), F.octet_length(raw) + BLOCK) if forward else F.aes_decrypt(F.concat(iv, raw), *args)
-    else:
-        done = _stream(raw, mode, key, iv, forward)
-    return F.when(bad, F.raise_error(F.lit(f"{algorithm}: wrong key or iv length"))).otherwise(done)
+        return F.substring(F.aes_encrypt(raw, *args, iv), F.lit(BLOCK + 1), F.octet_length(raw) + BLOCK) if forward else F.aes_decrypt(F.concat(iv, raw), *args)
+
+    return F.when(bad, F.raise_error(F.lit(f"{algorithm}: wrong key or iv length"))).otherwise(_let(c.cast("binary"), done))
 
 
 def chacha_blocks(key: bytes, nonce: bytes, count: int) -> bytes:
@@ -238,11 +253,6 @@ def community_id(source_ip: Column, destination_ip: Column, protocol: Column, so
     return flow(source_ip, destination_ip, protocol, source_port, destination_port)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _address(c: Column) -> Column:
     from .ip import ip_pton
 

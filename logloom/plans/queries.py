@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt out to all cores: a file of one row group would be one task's, however much work its rows make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def text_of(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -154,7 +159,7 @@ def fn_round_trips(spark, sf_dir):
     """What is encoded comes back."""
     c, iv = F.col("c_name"), F.lit("0123456789abcdef")
     there = lambda name, n: crypto.decrypt(crypto.encrypt(c, name, F.lit("k" * n), iv), name, F.lit("k" * n), iv).cast("string")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(
         "c_custkey", codecs.decode_base64(codecs.encode_base64(c, "url_safe", False)).must().alias("b64"), codecs.decode_base16(codecs.encode_base16(c)).must().alias("b16"),
         codecs.decode_percent(codecs.encode_percent(text_of(c, " %"))).alias("pct"), there("AES-128-CBC-PKCS7", 16).alias("cbc"), there("AES-256-CFB", 32).alias("cfb"), there("AES-192-OFB", 24).alias("ofb"),
         there("AES-128-CTR", 16).alias("ctr"), codecs.decode_punycode(codecs.encode_punycode(F.col("c_mktsegment"))).must().alias("puny"), (crypto.crc(c) == F.crc32(c.cast("binary")).cast("string")).alias("crc_ok"),
