@@ -7,12 +7,16 @@ half the other one's 12 deletion variants are compared. Pairs that meet and whos
 
 Of the nodes that meet in one half, each is first compared with the nearest before it, by print, which leaves few components. After that only
 nodes in different components are compared, all of them whose prints and parities are near enough: no pair that meets across components stays uncompared.
+
+A few segments are indexed before the others. Nodes that meet a crowd there go to that comparison whatever the other segments show, so these no longer tell
+of them or pair them with each other, and that comparison too begins with the early segments: what they link isn't compared in the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,8 @@ NEAR_FIRST, NEAR = 44, 131
 PARITIES, BEGIN = 1024, 4
 #: Nodes under one variant of which the prints of all pairs are looked at in the first turn.
 CROWD = 16
+#: Segments that are indexed first.
+EARLY = 6
 #: Rows that a task compares at a time, and rows of a batch of index rows.
 AT_ONCE = 1 << 15
 _random = np.random.default_rng(SEED)
@@ -118,28 +124,36 @@ def _raw(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rest, c, d, node) of (node, print): the halves, and the print's first 128 bits."""
+def _keys_of(early: bool) -> np.ndarray:
+    """Places of the early segments' keys among those of a print, or of the others'."""
+    return np.flatnonzero((np.arange(2 * SEGMENTS) % SEGMENTS < EARLY) == early)
+
+
+def _index(batches: Iterator[pa.RecordBatch], early: bool) -> Iterator[pa.RecordBatch]:
+    """(key, rest, c, d, node) of (node, print, known): the halves of the early segments or of the others, and the print's first 128 bits. A known
+    node's rest has the bit above the half's set."""
+    wanted = _keys_of(early)
     for batch in batches:
-        nodes = batch.column("node").to_numpy()
+        nodes, known = batch.column("node").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)
         for i in range(0, len(nodes), 256):
             part = nodes[i : i + 256]
             raw = _raw(batch.column("print").slice(i, 256), len(part))
-            key, rest = _halves(raw)
+            key, rest = (x.reshape(len(part), -1)[:, wanted] for x in _halves(raw))
+            rest = rest | known[i : i + 256, None].astype(np.int32) << HALF
             first = raw[:, :16].copy().view(np.int64)
-            each = 2 * SEGMENTS
-            columns = [key, rest, np.repeat(first[:, 0], each), np.repeat(first[:, 1], each), np.repeat(part, each)]
+            columns = [key.ravel(), rest.ravel(), *(np.repeat(x, len(wanted)) for x in (first[:, 0], first[:, 1], part))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "rest", "c", "d", "node"])
 
 
-def _index_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, root, size, bits) of (node, root, size, print): the keys, 512 bits of the print and the parities."""
+def _index_crowds(batches: Iterator[pa.RecordBatch], early: bool) -> Iterator[pa.RecordBatch]:
+    """(key, node, root, size, bits) of (node, root, size, print): the keys of the early segments or of the others, 512 bits of the print and the parities."""
+    wanted = _keys_of(early)
     for batch in batches:
         for i in range(0, len(batch), 64):
             part = batch.slice(i, 64)
-            raw, each = _raw(part.column("print"), len(part)), 2 * SEGMENTS
+            raw, each = _raw(part.column("print"), len(part)), len(wanted)
             bits = np.concatenate([raw[:, :64], raw[:, WORDS * 8 :]], axis=1)
-            columns = [pa.array(_halves(raw)[0]), *(pa.array(np.repeat(part.column(x).to_numpy(), each)) for x in ("node", "root", "size"))]
+            columns = [pa.array(_halves(raw)[0].reshape(len(part), -1)[:, wanted].ravel()), *(pa.array(np.repeat(part.column(x).to_numpy(), each)) for x in ("node", "root", "size"))]
             columns.append(pa.array([b for row in bits for b in [row.tobytes()] * each], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root", "size", "bits"])
 
@@ -163,8 +177,9 @@ def _nearest_before(prints: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _under_variants(key: np.ndarray, rest: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (a, b) of pairs to verify first of rows sorted by key, and the places of rows that have other pairs too."""
+def _under_variants(key: np.ndarray, rest: np.ndarray, prints: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (a, b) of pairs to verify first of rows sorted by key, and the places of rows that have other pairs too. Known rows don't begin with each other."""
+    known = np.zeros(len(key), bool) if known is None else known
     group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
     bits = np.arange(HALF, dtype=np.int64)[:, None]
     code = ((group[None, :] * HALF + bits) << HALF | rest[None, :] & ~(1 << bits)).ravel()
@@ -181,7 +196,7 @@ def _under_variants(key: np.ndarray, rest: np.ndarray, prints: np.ndarray) -> tu
         if not len(small):
             break
         x, y = at[small], at[small + d]
-        near = _differing(prints[x], prints[y]) <= NEAR_FIRST
+        near = (_differing(prints[x], prints[y]) <= NEAR_FIRST) & ~(known[x] & known[y])
         a.append(np.maximum(x[near], y[near])), b.append(np.minimum(x[near], y[near]))
     for i in np.flatnonzero(sizes > CROWD):
         run = at[starts[i] : starts[i] + sizes[i]]
@@ -189,7 +204,9 @@ def _under_variants(key: np.ndarray, rest: np.ndarray, prints: np.ndarray) -> tu
             continue  # the first bit's variant has them all
         crowded[run] = True
         run = np.sort(run)
-        a.append(run[1:]), b.append(run[_nearest_before(prints[run])])
+        new = np.flatnonzero(~known[run[1:]])
+        if len(new):
+            a.append(run[1:][new]), b.append(run[_nearest_before(prints[run])][new])
     x, y = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
     order = np.lexsort((_differing(prints[x], prints[y]), x))  # of each row's pairs with rows before it the nearest comes first
     first = np.r_[True, x[order][1:] != x[order][:-1]][: len(order)]
@@ -218,11 +235,13 @@ def _by_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of index rows: pairs to verify first, and with a null b the nodes that meet others too."""
+    """(a, b) of index rows: pairs to verify first, and with a null b the nodes that meet others too, unless known."""
     told = np.empty(0, np.int64)
     for table in _by_groups(batches):
         key, rest, c, d, node = (table.column(x).to_numpy() for x in ("key", "rest", "c", "d", "node"))
-        a, b, crowd = _under_variants(key, rest.astype(np.int64), np.stack([c, d], axis=1).view(np.uint64))
+        known, rest = rest >> HALF > 0, rest.astype(np.int64) & (1 << HALF) - 1
+        a, b, crowd = _under_variants(key, rest, np.stack([c, d], axis=1).view(np.uint64), known)
+        crowd = crowd[~known[crowd]]
         pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -258,10 +277,16 @@ def components(printed: DataFrame) -> DataFrame:
     """(node, root) of the nodes that link with another, of stored rows (row, text, node, print, size)."""
     spark = printed.sparkSession
     each = stored(printed.groupBy("node").agg(F.min("row").alias("row"), F.any_value("print").alias("print"), F.any_value("size").alias("size")), "each")
+
+    def meeting(nodes: DataFrame, early: bool, name: str) -> DataFrame:
+        index = nodes.mapInArrow(partial(_index, early=early), "key int, rest int, c long, d long, node long")
+        return stored(index.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long"), name)
+
     with _narrow_rows(spark):
-        index = each.select("node", "print").mapInArrow(_index, "key int, rest int, c long, d long, node long")
-        met = index.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
-        met = stored(met, "met")
+        begun = meeting(each.select("node", "print", F.lit(False).alias("known")), True, "begun")
+        known = begun.where("b is null").select(F.col("a").alias("node")).distinct().withColumn("known", F.lit(True))
+        marked = each.join(known.hint("merge"), "node", "left").select("node", "print", F.coalesce("known", F.lit(False)).alias("known"))
+        met = begun.union(meeting(marked, False, "met"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Those of stored pairs that link: the whole sets are read from the texts of nodes in any pair alone."""
@@ -280,14 +305,17 @@ def components(printed: DataFrame) -> DataFrame:
     crowd = stored(met.where("b is null").select(F.col("a").alias("node")).union(later).distinct(), "crowd")
     if crowd.isEmpty():
         return roots
-    rooted = crowd.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shown = stored(rooted.join(each.hint("merge"), "node").select("node", "root", "size", "print"), "shown")
-    with _narrow_rows(spark):
-        shown = shown.mapInArrow(_index_crowds, "key int, node long, root long, size long, bits binary")
-        across = shown.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
-        across = stored(across.distinct(), "across")
-    more = verified(across, "more_links")
-    return roots if more.isEmpty() else stored(connected_components(links.union(more)), "all_roots")
+    for early in (True, False):  # what the early segments join needn't be compared again
+        rooted = crowd.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shown = stored(rooted.join(each.hint("merge"), "node").select("node", "root", "size", "print"), "shown")
+        with _narrow_rows(spark):
+            shown = shown.mapInArrow(partial(_index_crowds, early=early), "key int, node long, root long, size long, bits binary")
+            across = shown.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
+            across = stored(across.distinct(), "across")
+        more = verified(across, "more_links")
+        if not more.isEmpty():
+            roots = stored(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "all_roots")
+    return roots
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -101,3 +101,27 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     kept = neardup.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(plain_kept(rows))
     assert sum(made) < 15 * len(rows)
+
+
+def test_rows_of_a_crowd_follow_its_nodes_not_their_segments(spark, monkeypatch):
+    """Near copies, most of them just under 0.8: what the meetings make a node doesn't grow with the group, and pairs that link only across it are found."""
+    rng, keep, each = np.random.default_rng(7), neardup.stored, []
+    for n in (150, 600):
+        texts = []
+        for k in range(n):
+            words = [f"w{i}" for i in range(150)] if k % 3 else texts[k - 3].split() if k else [f"w{i}" for i in range(150)]
+            for at in rng.choice(150, 6 if k % 3 else 1, replace=False):
+                words[at] = f"v{k}x{at}"
+            texts.append(" ".join(words))
+        rows, made = [(i, t, "en", "s", 0) for i, t in enumerate(texts)], {}
+
+        def counted(df, name, made=made):
+            out = keep(df, name)
+            made[name] = made.get(name, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(neardup, "stored", counted)
+        kept = neardup.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(plain_kept(rows))
+        each.append((made.get("begun", 0) + made["met"]) / n)
+    assert max(each) < 2 * 2 * neardup.EARLY and each[1] < 1.5 * each[0]
