@@ -84,6 +84,12 @@ class Ranking:
     def strengths(self, rows: np.ndarray) -> np.ndarray:
         return np.clip((rows - self.centre) / self.scale, -8, 8) @ self.weights
 
+    def scores(self, rows: list, cut: float) -> pd.Series:
+        if not rows:
+            return pd.Series([], dtype=float)
+        odds = self.strengths(np.array(rows)) - self.threshold + math.log(cut / (1 - cut))
+        return pd.Series(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
+
 
 def pairs(chosen: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """(better, worse) feature arrays: every document of either label is in at least one pair, if the other label has any.
@@ -98,7 +104,7 @@ def pairs(chosen: DataFrame, partners: int = PARTNERS) -> DataFrame:
     each = max(partners, -(-counts[0] // counts[1]))
     place = F.pmod(F.col("place") * each + F.col("k"), F.lit(counts[0])).alias("place")
     meet = good.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).select(F.col("features").alias("better"), place)
-    return meet.join(bad.select("place", F.col("features").alias("worse")), "place").select("better", "worse")
+    return meet.join(bad.select("place", F.col("features").alias("worse")).hint("merge"), "place").select("better", "worse")
 
 
 def fit(labelled: DataFrame, docs: DataFrame, each: int | None = None, partners: int = PARTNERS, ridge: float = RIDGE) -> Ranking:
@@ -106,12 +112,16 @@ def fit(labelled: DataFrame, docs: DataFrame, each: int | None = None, partners:
 
     Rows with a null id or label teach nothing. Without pairs all weights are 0.
     """
+    return fit_features(labelled, with_features(docs.select("doc_id", "text")), each, partners, ridge)
+
+
+def fit_features(labelled: DataFrame, docs: DataFrame, each: int | None = None, partners: int = PARTNERS, ridge: float = RIDGE) -> Ranking:
+    """As fit, on docs (doc_id, features)."""
     spark, width = docs.sparkSession, len(FEATURES)
     known = labelled.where(F.col("label").isin(0, 1)).select("label", "doc_id").distinct()
     ids = stored(known.where("doc_id is not null") if each is None else sample_keys(known, "label", "doc_id", each), "quality_ids")
-    # texts stay in place: only the few features of those that have a label are dealt out
-    marks = with_features(docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "features")
-    chosen = stored(marks.join(ids, "doc_id").select("doc_id", "label", "features").repartition(partitions(spark)), "quality_docs")
+    # texts stay in place at any size: only features meet the labels
+    chosen = stored(docs.select("doc_id", "features").join(ids.hint("merge"), "doc_id").select("doc_id", "label", "features").repartition(partitions(spark)), "quality_docs")
     stats = chosen.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     centre, scale = np.zeros(width), np.ones(width)
     for r in stats:
@@ -195,21 +205,27 @@ def score(docs: DataFrame, ranking: Ranking, cut: float = CUT, text: str = "text
 
     @F.pandas_udf("double")
     def place(values: pd.Series) -> pd.Series:
-        if not len(values):
-            return pd.Series([], dtype=float)
-        rows = np.array([features(t if isinstance(t, str) else None) for t in values])
-        odds = ranking.strengths(rows) - ranking.threshold + math.log(cut / (1 - cut))
-        return pd.Series(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
+        return ranking.scores([features(t if isinstance(t, str) else None) for t in values], cut)
 
     return bounded_batches(docs).withColumn("score", place(F.col(f"`{text}`"))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
+def score_features(docs: DataFrame, ranking: Ranking, cut: float = CUT) -> DataFrame:
+    """As score, on docs with column features."""
+
+    @F.pandas_udf("double")
+    def place(values: pd.Series) -> pd.Series:
+        return ranking.scores(list(values), cut)
+
+    return docs.withColumn("score", place("features")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of the ids whose labels fitting never sees."""
     return id_crc32(doc_id) % 5 == 0
 
 
 def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = stored(with_features(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "features"), "quality_features")
     labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
-    return score(docs, fit(labels, docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score_features(docs, fit_features(labels, docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

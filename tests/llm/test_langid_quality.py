@@ -132,3 +132,31 @@ def test_values_at_ranks_are_exact(spark):
     values = np.random.default_rng(9).normal(size=5000).round(3) * 10.0 ** np.arange(5000).__mod__(9)
     got = quality.at_ranks(spark.createDataFrame([(float(v),) for v in values], "s double"), [0, 17, 2500, 4999])
     assert got == [np.sort(values)[k] for k in (0, 17, 2500, 4999)]
+
+
+def test_quality_deals_out_no_texts(spark, monkeypatch):
+    """No join of what is fitted or scored has a text on either side, so none is shuffled where labels are too many to broadcast."""
+    keep, dealt, names = quality.stored, [], []
+
+    def walk(node):
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            dealt.extend(k.output().apply(i).name() for k in kids for i in range(k.output().size()))
+        for k in kids:
+            walk(k)
+
+    def watched(df, name):
+        names.append(name)
+        walk(df._jdf.queryExecution().optimizedPlan())
+        return keep(df, name)
+
+    monkeypatch.setattr(quality, "stored", watched)
+    docs = spark.createDataFrame([(i, "good " * (i % 7 + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "read", lambda spark, sf_dir, table: docs if table == "documents" else labels)
+    found = quality.op1_bradley_terry_quality(spark, "")
+    walk(found._jdf.queryExecution().optimizedPlan())
+    assert "doc_id" in dealt and "features" in dealt and "text" not in dealt and "quality_docs" in names
+    model = quality.fit(labels.withColumnRenamed("quality", "label").where(~quality.held_out(F.col("doc_id"))), docs)
+    want = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert {r.doc_id: r.score for r in found.collect()} == pytest.approx(want, abs=1e-12)
